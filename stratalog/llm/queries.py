@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, ngram_join, quality, suffix_dedup, toxicity
+from stratalog.llm import bpe, license_scan, media, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, warc
+
+
+#: Target weights of the sources, out of their sum; the hot source gets less than its share of the rows.
+MIX_WEIGHTS = {"src0": 9, **{f"src{k}": 5 for k in range(1, 20)}, mixing.OTHER: 1}
+PII_KEY = "stratalog-pseudonyms-1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +31,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "rejected")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +54,19 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_documents(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.transform("matches", lambda m: m["template"]), "|")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_templates"), names.alias("templates"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.decode_media(media.encode_media(table(spark, sf_dir, "documents")))
+    tail = F.crc32(F.expr("substring(payload, -64, 64)"))
+    feature = F.concat_ws(";", F.transform("clips", lambda c: F.format_string("%d:%.2f-%.2f", c["clip"], c["start_s"], c["end_s"])))
+    return read.select("doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -45,6 +77,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op6_bpe, op9_ngram_jaccard, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_warc, op4_mixing, op5_pii, op6_bpe, op7_license_scan, op8_media, op9_ngram_jaccard, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -35,6 +35,8 @@ from stratalog.session import staged
 KMER = 8
 #: Different suffixes that one bucket may bring into a task; larger buckets are counted by window hash.
 BUCKET_MAX = 4096
+#: Bits of the filter that keeps unmarked texts from the join.
+FILTER_BITS = 1 << 23
 
 
 def _span(length: int) -> int:
@@ -87,13 +89,35 @@ def _sample(length: int):
                 around = span_hash(sums, lo, hi + length) ^ mix((at - lo).astype(np.uint64))
                 base = cut[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [digest.take(pa.array(doc + i)), pa.array(at - base), pa.array(lo - base), pa.array(hi - base), pa.array(signed(core)), pa.array(signed(around))],
+                    [digest.take(pa.array(doc + i)), *(pa.array(x - base, pa.int32()) for x in (at, lo, hi)), pa.array(signed(core)), pa.array(signed(around))],
                     ["digest", "at", "lo", "hi", "core", "around"],
                 )
 
     return run
 
 
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set for the marked digests: at most FILTER_BITS / 32 rows come to the driver."""
+    place = F.expr(f"pmod(digest, {FILTER_BITS})")
+    rows = marks.select(place.alias("p")).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for r in rows:
+        out[r[0]] = r[1]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _marked(bits: np.ndarray):
+    """Only texts that may be marked, so that the others aren't shuffled; a full bitmap lets all through."""
+    packed = np.packbits(bits, bitorder="little")
+
+    def run(batches):
+        for batch in batches:
+            place = batch.column("digest").to_numpy() % FILTER_BITS
+            yield batch.filter(pa.array((packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
 def _contexts(length: int):
     """The bytes round each suffix that is to be merged: from its first window to the end of its last."""
 
@@ -105,7 +129,7 @@ def _contexts(length: int):
                 for m in marks.as_py():
                     for k, v in enumerate((digest.as_py(), m["at"], m["lo"], m["hi"], m["core"], m["many"], m["crowd"], raw[m["lo"] : m["hi"] + length])):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], ["digest", "at", "lo", "hi", "core", "many", "crowd", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], ["digest", "at", "lo", "hi", "core", "many", "crowd", "bytes"])
 
     return run
 
@@ -200,7 +224,7 @@ def _merge(length: int):
                 b += 1
             part = rows.take(pa.array(order[edges[a] : edges[b]]))
             a = b
-            at, lo, hi = (part.column(c).to_numpy() for c in ("at", "lo", "hi"))
+            at, lo, hi = (part.column(c).to_numpy().astype(np.int64) for c in ("at", "lo", "hi"))
             data, offs = utf8(part.column("bytes"))
             llen = at - lo
             rlen = hi + length - at
@@ -215,7 +239,7 @@ def _merge(length: int):
             hits[part.column("many").to_numpy(zero_copy_only=False)] = False
             r, o = np.nonzero(hits)
             start = at[r] - o
-            yield pa.RecordBatch.from_arrays([part.column("digest").combine_chunks().take(pa.array(r)), pa.array(start), pa.array(start)], ["digest", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([part.column("digest").combine_chunks().take(pa.array(r)), pa.array(start, pa.int32()), pa.array(start, pa.int32())], ["digest", "lo", "hi"])
 
     return run
 
@@ -241,7 +265,7 @@ def _windows(length: int):
 
     def run(batches):
         for batch in batches:
-            lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+            lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
             data, offs = utf8(batch.column("bytes"))
             sums = byte_sums(data)
             n = hi - lo + 1
@@ -250,7 +274,7 @@ def _windows(length: int):
             start = offs[row] + step
             key = span_hash(sums, start, start + length)
             check = mix(span_hash(sums, start, start + length // 2) + U64(1))
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(row)), pa.array(lo[row] + step), batch.column("many").take(pa.array(row)), pa.array(signed(key)), pa.array(signed(check))], ["digest", "start", "many", "key", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(row)), pa.array(lo[row] + step, pa.int32()), batch.column("many").take(pa.array(row)), pa.array(signed(key)), pa.array(signed(check))], ["digest", "start", "many", "key", "check"])
 
     return run
 
@@ -278,7 +302,7 @@ def _cut(length: int):
                 rest = b"".join(kept)
                 for k, v in enumerate((digest.as_py(), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": s, "end": e} for s, e in spans])):
                     out[k].append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return run
@@ -289,34 +313,36 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     docs: doc_id, text and other columns (ignored). Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
     `spans`, the removed runs as byte offsets. A null text is empty; texts shorter than `length` lose nothing;
-    repeated rows are copies of each other and lose everything that is long enough; doc_id may be null.
+    repeated rows are copies of each other and lose everything that is long enough; doc_id may be null. Texts are told apart by
+    64-bit hashes.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    sample = staged(rows.where(F.octet_length("text") >= length).select("digest", "text").mapInArrow(_sample(length), "digest string, at long, lo long, hi long, core long, around long"), "suffixes")
-    classes = sample.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("digest", "at")).alias("head"))
-    cores = classes.groupBy("core").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    settled = sample.join(cores, "core")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    long = rows.where(F.octet_length("text") >= length).select("digest", "text")
+    sample = staged(long.mapInArrow(_sample(length), "digest long, at int, lo int, hi int, core long, around long"), "suffixes")
+    cores = sample.groupBy("core").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1").select("core", F.expr("a <> b").alias("mixed"))
+    shared = staged(sample.join(cores, "core"), "shared")
     # copies of one and the same surroundings repeat throughout; of mixed buckets each kind sends one suffix
-    heads = classes.join(cores.where("kinds > 1"), "core").select("core", "around", "n", "head", "kinds")
-    kinds = settled.where("kinds > 1").join(heads.where("n > 1").select("core", "around", F.lit(True).alias("many")), ["core", "around"], "left")
-    full = settled.where("kinds = 1").select("digest", "lo", "hi").union(kinds.where("many").select("digest", "lo", "hi"))
-    lead = sample.join(heads.select("core", "around", "n", "kinds", "head.digest", "head.at"), ["core", "around", "digest", "at"]).dropDuplicates(["core", "around"])
+    kinds = shared.where("mixed").groupBy("core", "around").agg(F.count("*").alias("n"), F.min("digest").alias("head"))
+    kinds = staged(kinds.join(kinds.groupBy("core").agg(F.count("*").alias("kinds")), "core"), "kinds")
+    copied = shared.where("mixed").join(kinds.where("n > 1").select("core", "around"), ["core", "around"], "left_semi")
+    full = shared.where("not mixed").select("digest", "lo", "hi").union(copied.select("digest", "lo", "hi"))
+    lead = shared.where("mixed").join(kinds, ["core", "around"]).where("digest = head").dropDuplicates(["core", "around"])
     merge = lead.groupBy("digest").agg(F.collect_list(F.struct("at", "lo", "hi", "core", (F.col("n") > 1).alias("many"), (F.col("kinds") > BUCKET_MAX).alias("crowd"))).alias("merge"))
     whole = full.groupBy("digest").agg(F.collect_set(F.struct("lo", "hi")).alias("whole"))
-    marks = whole.join(merge, "digest", "full")
-    texts = staged(rows.select("digest", "text").join(marks, "digest").dropDuplicates(["digest"]), "texts")
-    around = staged(texts.where("merge is not null").select("digest", "text", "merge").mapInArrow(_contexts(length), "digest string, at long, lo long, hi long, core long, many boolean, crowd boolean, bytes binary"), "contexts")
-    merged = around.where("not crowd").repartition("core").mapInArrow(_merge(length), "digest string, lo long, hi long")
-    windows = around.where("crowd").mapInArrow(_windows(length), "digest string, start long, many boolean, key long, check long")
+    marks = staged(whole.join(merge, "digest", "full"), "marks")
+    texts = long.mapInArrow(_marked(_bitmap(marks)), "digest long, text string").join(marks, "digest").dropDuplicates(["digest"])
+    texts = staged(texts, "texts")
+    around = staged(texts.where("merge is not null").select("digest", "text", "merge").mapInArrow(_contexts(length), "digest long, at int, lo int, hi int, core long, many boolean, crowd boolean, bytes binary"), "contexts")
+    merged = around.where("not crowd").repartition("core").mapInArrow(_merge(length), "digest long, lo int, hi int")
+    windows = around.where("crowd").mapInArrow(_windows(length), "digest long, start int, many boolean, key long, check long")
     twice = windows.groupBy("key", "check").count().where("count > 1").select("key", "check")
     counted = windows.where("not many").join(twice, ["key", "check"]).select("digest", F.col("start").alias("lo"), F.col("start").alias("hi"))
     found = merged.union(counted).groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
     cut = texts.join(found, "digest", "left").select("digest", "text", F.concat(F.coalesce("whole", none), F.coalesce("found", none)).alias("windows"))
-    done = cut.where(F.size("windows") > 0).mapInArrow(_cut(length), "digest string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
-    every = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    done = cut.where(F.size("windows") > 0).mapInArrow(_cut(length), "digest long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    every = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all_sha256"))
     return every.join(done, "digest", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
     )

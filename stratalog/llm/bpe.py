@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from stratalog.llm.textbytes import U64, byte_sums, chunks, mix, span_hash, utf8
 
 #: Resolved pre-tokens kept by a worker; the table is emptied when full.
-KEPT = 800_000
+KEPT = 300_000
 
 
 def hashes(keys: list[bytes]) -> np.ndarray:
@@ -225,7 +225,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
         codec = _codec(shared, pattern)
         for batch in batches:
             _, offs = utf8(batch.column("ids"))
-            for i, j in chunks(offs, 1 << 20):
+            for i, j in chunks(offs):
                 part = batch.slice(i, j - i)
                 text = pa.array([codec.decode(x) if x else b"" for x in part.column("ids").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), text], [*names, "decoded"])

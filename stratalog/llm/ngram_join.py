@@ -104,6 +104,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def linkable(n: int, percent: int) -> bool:
+    """Whether a set of n can be linked to a set other than itself; the easiest such set has it and one token more."""
+    return 100 * n >= percent * (n + 1)
+
+
 def _scan(common, width: int, percent: int):
     """Every row's set size and id, and the first tokens of its extended prefix under the plain hash order."""
 
@@ -114,7 +119,7 @@ def _scan(common, width: int, percent: int):
                 n.append(len(u))
                 kid.append(set_id(u))
                 need = least_overlap(len(u), percent)
-                p = u[: len(u) - need + 2] if 1 < need < len(u) else u[:0]
+                p = u[: len(u) - need + 2] if linkable(len(u), percent) else u[:0]
                 flat.append(p)
                 counts.append(len(p))
             yield pa.RecordBatch.from_arrays(
@@ -133,9 +138,9 @@ def _index_keys(common, frequent, width: int, percent: int):
         for batch in batches:
             n, kid, flat, sketch = [], [], [], []
             for u in shingle_sets(*utf8(batch.column("text")), width, common.value):
-                need = least_overlap(len(u), percent)
-                if not 1 < need < len(u):
+                if not linkable(len(u), percent):
                     continue
+                need = least_overlap(len(u), percent)
                 late = np.zeros(len(u), dtype=bool)
                 if len(known):
                     late = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u
@@ -146,7 +151,7 @@ def _index_keys(common, frequent, width: int, percent: int):
                 if p <= PAIR_BOTH[1] and len(left) > 1:
                     a, b = np.triu_indices(len(left), 1)
                     keys.append(mix(left[a] * U64(3) + mix(left[b])))
-                if p > PAIR_BOTH[0]:
+                if p > PAIR_BOTH[0] or need < 2:  # linked sets that share one token only have no pair
                     keys.append(u[late][: max(0, p - len(rare))])
                 flat.append(np.concatenate(keys))
                 n.append(len(u))

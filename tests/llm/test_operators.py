@@ -71,6 +71,34 @@ def test_ngram_components(docs):
     assert ngram_join.ngram_components(docs.limit(0)).count() == 0
 
 
+def brute_components(rows, width, percent):
+    """(doc_id, n_shingles, component_id) of (doc_id, text) rows with ids, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(text)
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)})
+    owner = [i for i, _ in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while any(owner[a] != owner[b] for a, b in links):
+        for a, b in links:
+            owner[a] = owner[b] = min(owner[a], owner[b])
+    return sorted((i, len(s), o) for (i, _), s, o in zip(rows, sets, owner))
+
+
+def test_ngram_smallest_linked_sets(spark):
+    # a set inside one that is larger by a shingle: 9 in 10 shingles at 90% (11 words, width 3), 4 in 5 at 80% (8 words, width 5)
+    texts = []
+    for n in range(1, 15):
+        text = [f"t{n}w{k}" for k in range(n)]
+        texts += [text, [*text, "after"], ["before", *text]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 90), (5, 80), (2, 50)):
+        want = brute_components(rows, width, percent)
+        assert len({o for _, _, o in want}) < len(rows)
+        assert sorted(map(tuple, ngram_join.ngram_components(frame, width, percent).collect())) == want
+
+
 def test_bpe(docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -28,9 +28,9 @@ from stratalog.session import scratch, staged
 
 #: The most tokens that can be classed as frequent; the threshold rises with the corpus to keep to it.
 FREQUENT_MAX = 1 << 20
-#: Prefixes up to PAIR_BOTH[0] long index frequent tokens as pairs, those over PAIR_BOTH[1] singly, those between
-#: in both ways; linked sets differ by less than that gap.
-PAIR_BOTH = (40, 48)
+#: Prefixes up to PAIR_MAX long index frequent tokens as pairs, those over it singly; those over it that may belong to a
+#: set linked to one of PAIR_MAX or less (see pair_limit) do both.
+PAIR_MAX = 40
 #: Counts of a set's tokens by their last bits: where two such sketches differ by more than linked sets may, the pair is no link and is not
 #: made. Used in lists longer than SKETCHED.
 SKETCH, SKETCHED = 64, 32
@@ -104,6 +104,15 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def pair_limit(percent: int) -> int:
+    """The longest prefix of a set that can be linked to a set with a prefix of PAIR_MAX tokens or fewer."""
+    if percent >= 100:
+        return PAIR_MAX
+    small = (100 * PAIR_MAX - 1) // (100 - percent)  # the largest set with such a prefix
+    large = 100 * small // percent
+    return large - least_overlap(large, percent) + 1
+
+
 def linkable(n: int, percent: int) -> bool:
     """Whether a set of n can be linked to a set other than itself; the easiest such set has it and one token more."""
     return 100 * n >= percent * (n + 1)
@@ -133,6 +142,8 @@ def _scan(common, width: int, percent: int):
 def _index_keys(common, frequent, width: int, percent: int):
     """The index keys of each set: rare tokens singly, frequent ones as pairs."""
 
+    longest = pair_limit(percent)
+
     def run(batches):
         known = frequent.value
         for batch in batches:
@@ -148,10 +159,10 @@ def _index_keys(common, frequent, width: int, percent: int):
                 rare = u[~late]
                 keys = [rare[: p + 1]]
                 left = u[late][: max(0, p + 1 - len(rare))]
-                if p <= PAIR_BOTH[1] and len(left) > 1:
+                if p <= longest and len(left) > 1:
                     a, b = np.triu_indices(len(left), 1)
                     keys.append(mix(left[a] * U64(3) + mix(left[b])))
-                if p > PAIR_BOTH[0] or need < 2:  # linked sets that share one token only have no pair
+                if p > PAIR_MAX or need < 2:  # linked sets that share one token only have no pair
                     keys.append(u[late][: max(0, p - len(rare))])
                 flat.append(np.concatenate(keys))
                 n.append(len(u))

@@ -99,6 +99,23 @@ def test_ngram_smallest_linked_sets(spark):
         assert sorted(map(tuple, ngram_join.ngram_components(frame, width, percent).collect())) == want
 
 
+def test_ngram_pair_limit():
+    for percent in (50, 80, 90, 97):
+        prefix = [n - ngram_join.least_overlap(n, percent) + 1 for n in range(12000)]
+        small = max(n for n, p in enumerate(prefix) if p <= ngram_join.PAIR_MAX)
+        assert ngram_join.pair_limit(percent) == max(prefix[m] for m in range(small, 12000) if 100 * small >= percent * m)
+
+
+def test_ngram_sets_of_frequent_shingles(spark):
+    # 195 shingles within 240 (J = 0.8125), each of them also in a text that has it in its prefix: the words after it are the most common
+    text = [f"b{k}" for k in range(244)]
+    common = [f"z{k}" for k in range(20)]
+    passages = [" ".join([*text[k : k + 5], *common]) for k in range(240)]
+    rows = [(1, " ".join(text)), (0, " ".join(text[:199]))] + [(2 + k, p) for k, p in enumerate(passages * 20)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).where("doc_id < 242").collect()
+    assert sorted(map(tuple, got)) == [(0, 195, 0), (1, 240, 0), *((2 + k, 21, 2 + k) for k in range(240))]
+
+
 def test_bpe(docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stratalog.llm import bpe, license_scan, media, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,3 +204,26 @@ def test_trained(spark):
     empty = toxicity.train(docs, labels.limit(0))
     assert toxicity.score_documents(docs.limit(3), empty).count() == 3
     assert quality.judge_documents(odd, quality.train(docs, labels.limit(0))).where("base_failed and not kept").count() == 2
+
+
+def test_pipeline_returns_the_mix(spark, docs, tmp_path, monkeypatch):
+    given = docs.drop("key").where("source is not null")
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    source = {r[0]: r[1] for r in given.select("doc_id", "source").collect()}
+    found = []
+    for weights in (corpus_pipeline.MIX_WEIGHTS, {"src0": 1, "src1": 2, mixing.OTHER: 4}):
+        monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+        got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "slot", "position").collect()
+        turns, members, want = mixing.round_of_slots(weights), {}, []
+        for i in sorted((r[0] for r in got), key=lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()):
+            members.setdefault(source[i] if source[i] in weights else mixing.OTHER, []).append(i)
+        for s, ids in members.items():
+            own = [t for t, owner in enumerate(turns) if owner == s]
+            for k, i in enumerate(ids):
+                cycle, turn = divmod(k // mixing.BLOCK, len(own))
+                slot = cycle * len(turns) + own[turn]
+                want.append((i, slot, slot * mixing.BLOCK + k % mixing.BLOCK))
+        assert len(got) > 10 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        found.append(sorted(map(str, got)))
+    assert found[0] != found[1]

@@ -38,15 +38,21 @@ def features(text: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
     word = (span_hash(byte_sums(text), s, e) & U64(DIMS - 1)).astype(np.int64)
     n = len(text)
     code = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):  # a document's last grams run into the blank that ends it, and stop there
-        code[: n - k] = code[: n - k] * U64(257) + text[k:].astype(np.uint64)
+    for k in range(GRAM):
+        ahead = np.full(n, 32, dtype=np.uint8)
+        ahead[: max(0, n - k)] = text[k:]
+        for back in range(1, k + 1):  # a document's last grams see blanks, not the next document
+            last = starts[1:] - back
+            ahead[last[last >= 0]] = 32
+        code = code * U64(257) + ahead
     gram = (mix(code) & U64(DIMS - 1)).astype(np.int64) + DIMS
     return [(word, np.searchsorted(s, starts)), (gram, starts)]
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
+    """Each document's sum, added up within the document, so that its neighbours don't change the rounding."""
+    counts = np.diff(first)
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), values, len(counts))
 
 
 @dataclass

@@ -7,12 +7,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import bpe, license_scan, media, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, warc
+from stratalog.llm import bpe, license_scan, media, mixing, ngram_join, pii, quality, suffix_dedup, textbytes, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,6 +207,33 @@ def test_trained(spark):
     assert quality.judge_documents(odd, quality.train(docs, labels.limit(0))).where("base_failed and not kept").count() == 2
 
 
+def test_quality_of_copies(spark):
+    rng = np.random.default_rng(9)
+    model = quality.Regression(rng.normal(size=2 * quality.DIMS) * 9)
+    texts = ["", "a", "ab", "abc", "abcd", "é", "two words", "x " * 30 + "end", "some longer text\nof two lines"]
+
+    def judge(some, limit):
+        data, offs = textbytes.utf8(pa.array(some, pa.string()))
+        for i, j in textbytes.chunks(offs, limit):
+            yield from model.probability(quality.features(*textbytes.spaced(data, offs, i, j))).tolist()
+
+    alone = {t: list(judge([t], 1))[0] for t in texts}
+    assert len(set(alone.values())) == len(texts)
+    for limit in (1, 60, 1 << 19):
+        for _ in range(4):
+            order = [str(t) for t in rng.permutation(texts * 3)]
+            assert list(judge(order, limit)) == [alone[t] for t in order]
+    for text in texts:  # a gram for each byte and the blank after the last, blanks after that
+        raw = text.encode() + b" " * quality.GRAM
+        codes = [sum(int(b) * 257 ** (quality.GRAM - 1 - k) for k, b in enumerate(raw[p : p + quality.GRAM])) for p in range(len(text.encode()) + 1)]
+        data, offs = textbytes.utf8(pa.array([text, "next"]))
+        grams, first = quality.features(*textbytes.spaced(data, offs, 0, 2))[1]
+        assert grams[: first[1]].tolist() == ((textbytes.mix(np.array(codes, np.uint64)) & np.uint64(quality.DIMS - 1)).astype(np.int64) + quality.DIMS).tolist()
+    frame = spark.createDataFrame([(k, str(t)) for k, t in enumerate(rng.permutation(texts * 20))], "doc_id long, text string").repartition(7)
+    got = quality.judge_documents(frame, model).select("text", "quality").distinct().collect()
+    assert {r[0]: r[1] for r in got} == alone and len(got) == len(texts)
+
+
 def test_pipeline_returns_the_mix(spark, docs, tmp_path, monkeypatch):
     given = docs.drop("key").where("source is not null")
     given.write.parquet(f"{tmp_path}/documents.parquet")

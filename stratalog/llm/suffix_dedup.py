@@ -1,14 +1,16 @@
-"""Removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
+"""Removal of repeated byte strings by sorting sampled suffixes, in place of a merge of shard Burrows-Wheeler transforms.
 
-The texts' multi-string BWT is kept at sampled suffixes only. A suffix is sampled where a content-defined
+No shard makes a transform and nothing sorted is merged: the shards give positions and raw bytes, and each bucket's suffixes
+are sorted byte by byte, most significant first. Only the rounds over the bytes on the left work as LF steps do.
+
+The suffixes kept are a sample. A suffix is sampled where a content-defined
 anchor stands (the least of SPAN consecutive k-mer hashes), so each `length`-byte window holds an anchor that
 it shares with every equal window, and each window is reached from its anchor by at most SPAN - 1 LF steps, which
-prepend the BWT's next symbol (the byte before). The bytes that all windows of an anchor contain (its core) act
-as one symbol: the shards' transforms fall into buckets by core, and only buckets with two or more
-suffixes take part in the merge.
+prepend the byte before. The bytes that all windows of an anchor contain (its core) act
+as one symbol: the suffixes fall into buckets by core, and only buckets with two or more
+suffixes are sorted.
 
-The merge of a bucket follows Holt and McMillan: start from the interleave of the shards' suffixes by core, refine it
-byte by byte, and never sort whole suffixes again. Rounds over the bytes right of the core split the blocks of the
+The rounds of a bucket are modelled on Holt and McMillan's merge, but start from unsorted suffixes grouped by core. Rounds over the bytes right of the core split the blocks of the
 interleave and leave the common prefix of neighbours; rounds of LF steps over the bytes on the left
 then give, for each window start, blocks of equal left context in which neighbours' common prefixes decide
 whether the window is a repeated interval.

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.textbytes import U64, byte_sums, chunks, mix, span_hash, utf8
+from stratalog.llm.textbytes import U64, byte_sums, chunks, map_batches, mix, span_hash, utf8
 
 #: Resolved pre-tokens kept by a worker; the table is emptied when full.
 KEPT = 300_000
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
                 ids = codec.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -231,4 +231,4 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), text], [*names, "decoded"])
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return encoded.select(*names).mapInArrow(run, f"{fields}, decoded binary")
+    return map_batches(encoded.select(*names), run, f"{fields}, decoded binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, mix, span_hash, spaced, utf8
+from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, map_batches, mix, span_hash, spaced, utf8
 
 SHINGLE = 5
 LEAST = 0.8
@@ -160,4 +160,4 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None) ->
                 rows = [[{"template": t, "containment": c} for t, c in sorted(f.items())] for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(rows, kind)], ["doc_id", "matches"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, matches array<struct<template:string,containment:double>>")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, matches array<struct<template:string,containment:double>>")

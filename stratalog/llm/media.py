@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.textbytes import map_batches
+
 #: Most blocks of 8 x 8 in a frame; frames of one file are equally large.
 FRAME_BLOCKS = 64
 RATE = 25
@@ -175,7 +177,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_avi(x) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                 )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, {_FIELDS}")
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, {_FIELDS}")
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:

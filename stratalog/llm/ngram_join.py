@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 A document is the set of its distinct word shingles. Two sets of similarity t or more share, under
-any fixed order of the tokens, a token within their first n - ceil(t n) + 1, and k of them within
-k - 1 more. So rare tokens of that extended prefix are indexed one by one; frequent ones, which would
-make long posting lists, only as pairs (k = 2), and they come last in the order. What meets in the index
-is then verified exactly.
+any fixed order of the tokens, a token within their prefixes of p = n - ceil(t n) + 1, and m of them within
+m - 1 more. In the order, rare tokens come before frequent ones. Rare tokens of the prefix are indexed one by one. Frequent
+ones would make long posting lists and are indexed as pairs. If the least shared token is frequent, all shared ones are, and the m least
+of them lie in both extended prefixes with p - 1 others between them at most; so two neighbours among them stand close together in both
+sets (see pair_gap), and pairs at that distance suffice: their number grows with p, not with its square.
+What meets in the index is then verified exactly.
 
 Scale: equal sets are folded into one class first, whatever their number. A posting list is not
 expanded into pairs: its members are compared with one leader, and lists that then still span several
@@ -15,6 +17,7 @@ its pairs have been compared. No list is cut. The frequent-token table has a pro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.components import connected_components
-from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, list_column, mix, signed, span_hash, spaced, utf8, words
+from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, list_column, map_batches, mix, signed, span_hash, spaced, utf8, words
 from stratalog.llm.suffix_dedup import _bitmap, _marked
-from stratalog.session import scratch, staged
+from stratalog.session import scratch, settled, staged
 
 #: The most tokens that can be classed as frequent; the threshold rises with the corpus to keep to it.
 FREQUENT_MAX = 1 << 20
-#: Prefixes up to PAIR_MAX long index frequent tokens as pairs, those over it singly; those over it that may belong to a
-#: set linked to one of PAIR_MAX or less (see pair_limit) do both.
-PAIR_MAX = 40
 #: Counts of a set's tokens by their last bits: where two such sketches differ by more than linked sets may, the pair is no link and is not
 #: made. Used in lists longer than SKETCHED.
 SKETCH, SKETCHED = 64, 32
@@ -54,10 +54,9 @@ def _count_words(batches):
 
 def word_commonness(rows: DataFrame) -> np.ndarray:
     """A level for each counter: 0 for the rarest words, one more for each doubling of the frequency, 20 at most."""
-    found = rows.select("text").mapInArrow(_count_words, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # WORD_COUNTERS rows at most
+    found = map_batches(rows.select("text"), _count_words, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # WORD_COUNTERS rows at most
     counts = np.ones(WORD_COUNTERS)
-    for r in found:
-        counts[r[0]] = r[1]
+    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
     share = counts / counts.sum()
     return np.clip(np.floor(np.log2(share * WORD_COUNTERS * 16)), 0, 20).astype(np.uint64)
 
@@ -104,13 +103,25 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def pair_limit(percent: int) -> int:
-    """The longest prefix of a set that can be linked to a set with a prefix of PAIR_MAX tokens or fewer."""
-    if percent >= 100:
-        return PAIR_MAX
-    small = (100 * PAIR_MAX - 1) // (100 - percent)  # the largest set with such a prefix
-    large = 100 * small // percent
-    return large - least_overlap(large, percent) + 1
+def prefix_of(n, percent: int):
+    """For sets of n tokens: the prefix p that holds a token of each linked set, and the m least shared tokens that are looked at."""
+    need = least_overlap(n, percent)
+    return n - need + 1, np.maximum(np.minimum(need, 2), np.minimum(n - need + 1, need))
+
+
+@lru_cache(maxsize=1 << 16)
+def pair_gap(n: int, percent: int) -> tuple[int, bool]:
+    """How far apart, in the extended prefix, the nearest two of the m least tokens shared with any linked set can stand in either set.
+
+    Between the m tokens stand at most p - 1 others in each set, so that some neighbours have (p + p' - 2) / (m - 1) or fewer between
+    them in both sets together. The second value says that some linked set may share one token only, which makes no pair.
+    """
+    p, m = prefix_of(n, percent)
+    others = np.arange(max(1, least_overlap(n, percent)), 100 * n // percent + 1)
+    q, k = prefix_of(others, percent)
+    both = np.minimum(m, k)
+    paired = both > 1
+    return 1 + int(((p + q - 2)[paired] // (both - 1)[paired]).max(initial=0)), not paired.all()
 
 
 def linkable(n: int, percent: int) -> bool:
@@ -119,7 +130,7 @@ def linkable(n: int, percent: int) -> bool:
 
 
 def _scan(common, width: int, percent: int):
-    """Every row's set size and id, and the first tokens of its extended prefix under the plain hash order."""
+    """Every row's set size and id, and its prefix under the plain hash order."""
 
     def run(batches):
         for batch in batches:
@@ -127,8 +138,7 @@ def _scan(common, width: int, percent: int):
             for u in shingle_sets(*utf8(batch.column("text")), width, common.value):
                 n.append(len(u))
                 kid.append(set_id(u))
-                need = least_overlap(len(u), percent)
-                p = u[: len(u) - need + 2] if linkable(len(u), percent) else u[:0]
+                p = u[: prefix_of(len(u), percent)[0]] if linkable(len(u), percent) else u[:0]
                 flat.append(p)
                 counts.append(len(p))
             yield pa.RecordBatch.from_arrays(
@@ -139,10 +149,25 @@ def _scan(common, width: int, percent: int):
     return run
 
 
-def _index_keys(common, frequent, width: int, percent: int):
-    """The index keys of each set: rare tokens singly, frequent ones as pairs."""
+def index_keys(u: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a sorted set: rare tokens of the prefix singly, frequent ones (known) of the extended prefix as pairs."""
+    late = np.zeros(len(u), dtype=bool)
+    if len(known):
+        late = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u
+    p, m = prefix_of(len(u), percent)
+    rare = u[~late]
+    keys = [rare[:p]]
+    if len(rare) < p:
+        gap, single = pair_gap(len(u), percent)
+        left = u[late][: p + int(m) - 1 - len(rare)]
+        keys += [mix(left[:-d] * U64(3) + mix(left[d:])) for d in range(1, min(gap, len(left) - 1) + 1)]
+        if single:
+            keys.append(left[: p - len(rare)])
+    return np.concatenate(keys)
+
 
-    longest = pair_limit(percent)
+def _index_keys(common, frequent, width: int, percent: int):
+    """Each linkable set's id, size, sketch and index keys."""
 
     def run(batches):
         known = frequent.value
@@ -151,20 +176,7 @@ def _index_keys(common, frequent, width: int, percent: int):
             for u in shingle_sets(*utf8(batch.column("text")), width, common.value):
                 if not linkable(len(u), percent):
                     continue
-                need = least_overlap(len(u), percent)
-                late = np.zeros(len(u), dtype=bool)
-                if len(known):
-                    late = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u
-                p = len(u) - need + 1
-                rare = u[~late]
-                keys = [rare[: p + 1]]
-                left = u[late][: max(0, p + 1 - len(rare))]
-                if p <= longest and len(left) > 1:
-                    a, b = np.triu_indices(len(left), 1)
-                    keys.append(mix(left[a] * U64(3) + mix(left[b])))
-                if p > PAIR_MAX or need < 2:  # linked sets that share one token only have no pair
-                    keys.append(u[late][: max(0, p - len(rare))])
-                flat.append(np.concatenate(keys))
+                flat.append(index_keys(u, known, percent))
                 n.append(len(u))
                 kid.append(set_id(u))
                 sketch.append(np.minimum(np.bincount((u & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 127).astype(np.int8))
@@ -190,8 +202,9 @@ def _whole_sets(common, width: int):
 def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Link documents whose shingle sets have Jaccard similarity of percent/100 or more.
 
-    docs: doc_id, text and any other columns (ignored). Returns per row doc_id, n_shingles and
-    component_id, the smallest doc_id reachable by links. A null or wordless text is empty and linked with
+    docs: doc_id, text and any other columns (ignored). Returns per row doc_id, n_shingles,
+    component_id, the smallest doc_id reachable by links, text_key, the text's hash, and component_key, which tells components apart
+    also where ids are null or repeated. A null or wordless text is empty and linked with
     nothing; a text of fewer words than `width` is one shingle; repeated rows are linked copies; a null doc_id stays
     null and takes the smallest non-null id of its component. An empty table gives an empty result.
     """
@@ -199,26 +212,25 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
     common = spark.sparkContext.broadcast(word_commonness(rows))
-    scan = staged(keyed.mapInArrow(_scan(common, width, percent), "doc_id long, tkey long, n long, kid long, prefix array<long>"), "sets")
+    scan = staged(map_batches(keyed, _scan(common, width, percent), "doc_id long, tkey long, n long, kid long, prefix array<long>"), "sets")
     classes = scan.where("n > 0").groupBy("kid").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"))
-    roots = _roots(rows, scan, classes, common, width, percent)
-    owner = classes.select("kid", "low")
-    if roots is not None:
-        joined = owner.join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
-        owner = joined.join(joined.groupBy("root").agg(F.min("low").alias("least")), "root").select("kid", F.col("least").alias("low"))
-    return scan.join(owner, "kid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    roots = settled(spark, "roots", lambda: _roots(rows, scan, classes, common, width, percent))
+    joined = classes.select("kid", "low").join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
+    owner = joined.join(joined.groupBy("root").agg(F.min("low").alias("least")), "root").select("kid", "root", F.col("least").alias("low"))
+    found = scan.join(owner, "kid", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.col("tkey").alias("text_key"), F.coalesce("root", "tkey").alias("component_key"))
 
 
-def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width: int, percent: int) -> DataFrame | None:
-    """(kid, root) of the classes that links connect with others; None if no set can have a link."""
+def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width: int, percent: int) -> DataFrame:
+    """(kid, root) of the classes that links connect with others."""
     spark = rows.sparkSession
     size = scan.agg(F.sum(F.size("prefix"))).first()[0] or 0
     if not size:
-        return None
+        return spark.createDataFrame([], "kid long, root long")
     least = max(16, -(-size // FREQUENT_MAX))
     counts = scan.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > least)
-    found = np.sort(np.array([r[0] for r in counts.select("token").collect()], dtype=np.int64).view(np.uint64))  # FREQUENT_MAX at most
-    keys = rows.select("text").mapInArrow(_index_keys(common, spark.sparkContext.broadcast(found), width, percent), "kid long, n long, sketch array<tinyint>, keys array<long>")
+    found = np.sort(counts.select("token").toArrow().column("token").to_numpy().view(np.uint64))  # FREQUENT_MAX at most
+    keys = map_batches(rows.select("text"), _index_keys(common, spark.sparkContext.broadcast(found), width, percent), "kid long, n long, sketch array<tinyint>, keys array<long>")
     sets = staged(keys.groupBy("kid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "index")
     index = sets.select("kid", "n", F.explode("keys").alias("key"))
     heads = index.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("kid", "n")).alias("head")).where("m > 1")
@@ -235,8 +247,8 @@ def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width:
         with scratch(spark) as temp:
             left = temp(pairs.join(sets.select(F.col("kid").alias("b"), "n", "sketch"), "b").join(a, "a").where(near).select("a", "b"), "near")
             wanted = temp(left.select(F.col("a").alias("kid")).union(left.select("b")).distinct().join(classes, "kid").select(F.col("tkey").alias("digest")).distinct(), "wanted")
-            texts = rows.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(_marked(_bitmap(wanted)), "digest long, text string").join(wanted, "digest").dropDuplicates(["digest"])
-            tokens = temp(texts.select("text").mapInArrow(_whole_sets(common, width), "kid long, tokens array<long>").dropDuplicates(["kid"]), "tokens")
+            texts = map_batches(rows.select(F.xxhash64("text").alias("digest"), "text"), _marked(_bitmap(wanted)), "digest long, text string").join(wanted, "digest").dropDuplicates(["digest"])
+            tokens = temp(map_batches(texts.select("text"), _whole_sets(common, width), "kid long, tokens array<long>").dropDuplicates(["kid"]), "tokens")
             return staged(_verified(left, tokens, percent), "links")
 
     edges = links(tried)
@@ -247,7 +259,7 @@ def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width:
     place = "(xxhash64(kid) / 18446744073709551616D + 0.5D) * m"
     first, last, roots = 0, 16, None
     while True:
-        roots = roots or staged(connected_components(edges).withColumnRenamed("node", "kid"), "roots")
+        roots = roots or settled(spark, "roots", lambda now=edges: connected_components(now).withColumnRenamed("node", "kid"))
         with scratch(spark) as temp:
             placed = groups.where(F.col("m") > first).join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
             split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")

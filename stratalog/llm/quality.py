@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.labelled import PER_CLASS, labelled_sample, platt, sigmoid
-from stratalog.llm.textbytes import SPACE, U64, byte_sums, chunks, mix, span_hash, spaced, utf8, words
+from stratalog.llm.textbytes import SPACE, U64, byte_sums, chunks, map_batches, mix, span_hash, spaced, utf8, words
 
 DIMS = 1 << 17
 GRAM = 4
@@ -183,4 +183,4 @@ def judge_documents(docs: DataFrame, model: Regression, keep: float = KEEP) -> D
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(base[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(p, pa.float64()), pa.array(~failed & (p >= keep))], [*names, *added])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names).mapInArrow(run, fields + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean")
+    return map_batches(docs.select(*names), run, fields + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean")

@@ -6,11 +6,14 @@ is plain numpy inside a task; Spark deals out the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Bytes of an Arrow batch, in either direction; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Bytes worked on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
@@ -27,6 +30,27 @@ LOWER[0x41:0x5B] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, so that long texts don't fill a worker. Sets the session's limit where it is larger."""
+    conf = df.sparkSession.conf
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        size = int(conf.get(name).rstrip("b"))
+        if not 0 < size <= BATCH_BYTES:
+            conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary Arrow column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.labelled import PER_CLASS, labelled_sample, platt, sigmoid
-from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, mix, span_hash, spaced, utf8
+from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, map_batches, mix, span_hash, spaced, utf8
 
 BUCKETS = 1 << 21
 WIDTHS = (1, 2, 3)
@@ -48,7 +48,7 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np
         s, e = edge[0::2], edge[1::2]
         sums = byte_sums(text)
         whole, stem = span_hash(sums, s, e), mix(span_hash(sums, s, np.minimum(e, s + STEM)) + U64(1))
-        yield (np.stack([whole, stem], axis=1) % U64(BUCKETS)).astype(np.int64), np.searchsorted(s, starts)
+        yield (np.stack([whole, stem], axis=1) % U64(BUCKETS)).astype(np.int32), np.searchsorted(s, starts)
 
 
 def _padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ class TextCnn:
     def margins(self, data: np.ndarray, offs: np.ndarray, tables=None) -> np.ndarray:
         tables, out = tables or self.tables(), []
         for ids, first in buckets(data, offs):
-            seq, starts = _padded(self.row[ids].astype(np.int64), first)
+            seq, starts = _padded(self.row[ids], first)
             pooled = []
             for w, parts in tables:
                 n = len(seq) - max(WIDTHS) + 1
@@ -107,6 +107,7 @@ def fit(sample: pd.DataFrame, share: float, seed: int = 7) -> TextCnn:
     data, offs = utf8(pa.array(sample["text"], pa.string()))
     parts = list(buckets(data, offs))
     texts = [ids[a:b] for ids, first in parts for a, b in zip(first[:-1], first[1:])]
+    del parts
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for t in texts:
         seen[np.unique(t)] += 1
@@ -121,7 +122,8 @@ def fit(sample: pd.DataFrame, share: float, seed: int = 7) -> TextCnn:
         return model
     fold = rng.random(len(y)) < 0.8
     rows, held = np.flatnonzero(fold), np.flatnonzero(~fold)
-    seqs = [row[t].astype(np.int64) for t in texts]
+    seqs = [row[t] for t in texts]
+    del texts, seen
     heat = {"e": np.full(model.embedding.shape, 1e-6), "w": np.full(model.weight.shape, 1e-6), "o": 1e-6} | {("f", w): np.full(model.filters[w].shape, 1e-6) for w in WIDTHS} | {("b", w): np.full(FILTERS, 1e-6) for w in WIDTHS}
     balance = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-6), 0.5 / max(1 - y[rows].mean(), 1e-6))
     rate = 0.08
@@ -225,4 +227,4 @@ def score_documents(docs: DataFrame, model: TextCnn) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64()), pa.array(score >= limit, pa.bool_())], [*names, "score", "rejected"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names).mapInArrow(run, f"{fields}, score double, rejected boolean")
+    return map_batches(docs.select(*names), run, f"{fields}, score double, rejected boolean")

@@ -25,6 +25,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.textbytes import map_batches
 from stratalog.session import fresh_path, staged
 
 #: Lines of a compressed index block.
@@ -112,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out:
             out.close()
 
-    return staged(rows.select("key", "page_id", "url", "payload", "digest", "payload_bytes", "record_type", "refers_to").mapInArrow(run, "key string, archive string, offset long, length long"), "captures")
+    return staged(map_batches(rows.select("key", "page_id", "url", "payload", "digest", "payload_bytes", "record_type", "refers_to"), run, "key string, archive string, offset long, length long"), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -144,7 +145,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([directory[0][0]])], ["shard", "first"])
 
-    return staged(spread.mapInArrow(run, "shard string, first string"), "shards")
+    return staged(map_batches(spread, run, "shard string, first string"), "shards")
 
 
 class Shard:
@@ -202,8 +203,8 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
 
     if not table:
         return keys.sparkSession.createDataFrame([], "key string, archive string, offset long, length long")
-    asked = keys.select("key").where("key is not null").distinct().mapInArrow(place, "shard int, key string")
-    return asked.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(run, "key string, archive string, offset long, length long")
+    asked = map_batches(keys.select("key").where("key is not null").distinct(), place, "shard int, key string")
+    return map_batches(asked.repartition("shard").sortWithinPartitions("shard", "key"), run, "key string, archive string, offset long, length long")
 
 
 def read_records(spots: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -223,7 +224,7 @@ def read_records(spots: DataFrame, folder: str, payloads: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] if payloads or c != "payload" else None for r in rows], t) for c, t in zip(names, kinds)], names)
 
     spread = spots.repartition("archive").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
-    return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return map_batches(spread, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalog.llm.textbytes import unused
+
 #: Documents of a block.
 BLOCK = 16
 #: Leading hexadecimal digits of the hash that make a bin.
@@ -46,30 +48,32 @@ def schedule(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> Da
     """All columns of docs plus group, block, release, deadline, slot and position (slot * block size + place in block).
 
     docs: doc_id, source, text and others. weights: source -> whole number, OTHER for the rest; each source met must be covered.
-    Every row is placed, also of sources that run out later or earlier than others: a source that has run out leaves its slots empty.
-    Nulls: a null source belongs to OTHER; null ids and texts are ordered as empty. Repeated rows get places of their own. Columns
-    of the added names are replaced.
+    Every row is placed, also of sources that run out later or earlier than others: a source that has run out leaves its slots empty, so that up
+    to the slot at which the first source runs out, each is less than a block from its share; later on, this holds among those that are left.
+    Nulls: a null source belongs to OTHER; rows without an id are ordered by their texts, a null text is empty. Repeated rows get places of their
+    own. An empty table gives an empty result. Columns of the added names are replaced, all others stay.
     """
     added = ("group", "block", "release", "deadline", "slot", "position")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     if OTHER not in weights:
         raise ValueError(f"weights need an entry {OTHER!r} for the sources that they do not list")
     total = sum(weights.values())
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumns({"group": _listed(weights, F.col("source")), "__order": order, "__text": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))}).withColumn("__bin", F.substring("__order", 1, BIN_DIGITS))
-    counts = rows.groupBy("group", "__bin").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy("group").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy("group", "__bin").orderBy("__order", "__text")))
-    placed = ranked.join(before, ["group", "__bin"]).withColumn("__index", F.col("__before") + F.col("__rank") - 1)
+    o_, t_, b_, n_, p_, r_, i_, w_ = unused(docs, "order", "text_md5", "bin", "n", "before", "rank", "index", "weight")
+    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumns({"group": _listed(weights, F.col("source")), o_: F.md5(F.coalesce(F.col("doc_id").cast("string"), own)), t_: own}).withColumn(b_, F.substring(o_, 1, BIN_DIGITS))
+    counts = rows.groupBy("group", b_).agg(F.count("*").alias(n_))
+    before = counts.withColumn(p_, F.coalesce(F.sum(n_).over(W.partitionBy("group").orderBy(b_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop(n_)
+    ranked = rows.withColumn(r_, F.row_number().over(W.partitionBy("group", b_).orderBy(o_, t_)))
+    placed = ranked.join(before, ["group", b_]).withColumn(i_, F.col(p_) + F.col(r_) - 1)
     weight = F.element_at(F.create_map(*[F.lit(x) for s in sorted(weights) for x in (s, weights[s])]), F.col("group")).cast("long")
     slots = {s: [t for t, owner in enumerate(round_of_slots(weights)) if owner == s] for s in sorted(weights)}
     table = F.create_map(*[x for s, own in slots.items() for x in (F.lit(s), F.array(*map(F.lit, own)))])
-    placed = placed.withColumns({"block": F.expr(f"__index div {block}"), "__w": weight})
-    placed = placed.withColumn("slot", F.expr("block div __w") * total + F.element_at(F.element_at(table, F.col("group")), (F.col("block") % F.col("__w") + 1).cast("int")))
-    placed = placed.withColumns({"release": F.expr(f"block * {total} div __w"), "deadline": F.expr(f"((block + 1) * {total} + __w - 1) div __w"), "position": F.col("slot") * block + F.col("__index") % block})
-    return placed.select(*docs.columns, *added)
+    placed = placed.withColumns({"block": F.expr(f"{i_} div {block}"), w_: weight})
+    placed = placed.withColumn("slot", F.expr(f"block div {w_}") * total + F.element_at(F.element_at(table, F.col("group")), (F.col("block") % F.col(w_) + 1).cast("int")))
+    placed = placed.withColumns({"release": F.expr(f"block * {total} div {w_}"), "deadline": F.expr(f"((block + 1) * {total} + {w_} - 1) div {w_}"), "position": F.col("slot") * block + F.col(i_) % block})
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFrame:
     """docs, whole, ordered by their places in the mix."""
-    return schedule(docs, weights, block).orderBy("position").select(*docs.columns)
+    return schedule(docs, weights, block).orderBy("position").select(*[F.col(f"`{c}`") for c in docs.columns])

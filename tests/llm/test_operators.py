@@ -216,6 +216,44 @@ def test_pii(spark):
     assert len(set(out)) == 300 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x) for x in out)
 
 
+def test_pii_links_the_ways_of_writing(spark):
+    cards = ["4998709779753682", "4998 7097 7975 3682", "4998-7097-7975-3682"]
+    phones = ["(274) 555-9629", "274-555-9629", "+1 274-555-9629", "274 555 9629", "+1 (274) 555-9629"]
+    mails = ["Rsb.7@Mail.example.com", "rsb.7@Mail.example.com", "RSB.7@Mail.example.com"]
+    dates = ["1984-02-29", "29.02.1984", "29/02/1984"]
+    keys = ["0123456789abcdef" * 2, "fedcba9876543210" * 4]
+    values = [*cards, *phones, *mails, *dates, *keys]
+    frame = spark.createDataFrame([(k, f"<< {v} >>", "mine", k) for k, v in enumerate(values)], "doc_id long, text string, found string, n_pseudonyms int")
+    rows = sorted(pii.pseudonymise(frame, "k").collect())
+    assert all(r["found"] == "mine" and r["n_pseudonyms"] == 1 for r in rows)
+    new = [r["text"][3:-3] for r in rows]
+    form = lambda v: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", v)))
+    for old, got in zip(values[:-2], new):
+        assert got != old and (form(got) == form(old) or "@" in old and form(got).partition("@")[2] == form(old).partition("@")[2])
+    digits = lambda v: re.sub("[^0-9]", "", v.removeprefix("+1"))
+    assert len({digits(v) for v in new[:3]}) == 1 and len({digits(v) for v in new[3:8]}) == 1
+    assert len({v.lower() for v in new[8:11]}) == 1 and [v[0].isupper() for v in new[8:11]] == [True, False, True]
+    year, month, day = new[11].split("-")
+    assert new[12:14] == [f"{day}.{month}.{year}", f"{day}/{month}/{year}"]
+    assert all(re.fullmatch("[0-9a-f]{%d}" % len(old), got) and got != old for old, got in zip(keys, new[-2:]))
+    many = spark.range(3000)
+    for text in ("format_string('274-555-%04d', id)", "format_string('u%04d@a.org', id)", "concat(substr(md5(cast(id as string)), 1, 30), format_string('a%x', id % 16))"):
+        made = many.selectExpr("id as doc_id", f"{text} as text")
+        assert pii.pseudonymise(made, "k").select("text").distinct().count() == made.select("text").distinct().count()
+    long = "no value here " * 40_000 + cards[0]
+    got = pii.pseudonymise(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string"), "k").collect()
+    assert [r["text"] for r in got] == [long[:-16] + new[0]] * 2
+    assert pii.pseudonymise(frame.limit(0), "k").count() == 0
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [(None, f"t{k}", None if k % 2 else "src0", k, "o") for k in range(50)] + [(1, "same", "src0", 0, "o")] * 3 + [(2, None, "src1", 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `rank` int, `order` string")
+    got = mixing.schedule(frame, {"src0": 2, mixing.OTHER: 1}, 4).toPandas()
+    assert len(got) == 54 and got.position.is_unique and sorted(got["rank"]) == sorted(r[3] for r in rows)
+    assert mixing.schedule(frame.limit(0), {mixing.OTHER: 1}).count() == 0
+
+
 def test_license_scan(spark):
     t = license_scan.TEMPLATES
     rows = [(1, "intro " + t["mit"] + " end"), (2, t["gpl-3.0-line"].upper()), (3, None), (4, ""), (5, "nothing of that kind here at all"), (6, t["bsd"].replace("disclaimer", "notice"))]
@@ -282,7 +320,7 @@ def test_pipeline_returns_the_mix(spark, docs, tmp_path, monkeypatch):
         monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
         got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "slot", "position").collect()
         turns, members, want = mixing.round_of_slots(weights), {}, []
-        for i in sorted((r[0] for r in got), key=lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()):
+        for i in sorted((r[0] for r in got), key=lambda i: hashlib.md5((hashlib.md5(b"lonely text").hexdigest() if i is None else str(i)).encode()).hexdigest()):
             members.setdefault(source[i] if source[i] in weights else mixing.OTHER, []).append(i)
         for s, ids in members.items():
             own = [t for t, owner in enumerate(turns) if owner == s]

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of an Arrow batch, in either direction; a longer row is a batch of its own.
+#: Bytes of an Arrow batch given to Python; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Bytes worked on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -32,11 +32,9 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow over batches of bounded bytes, so that long texts don't fill a worker. Sets the session's limit where it is larger."""
-    conf = df.sparkSession.conf
-    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        size = int(conf.get(name).rstrip("b"))
-        if not 0 < size <= BATCH_BYTES:
-            conf.set(name, str(BATCH_BYTES))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -30,6 +30,8 @@ from stratalog.session import fresh_path, staged
 
 #: Lines of a compressed index block.
 BLOCK_LINES = 512
+#: Bytes of an archive that one task reads, at most; there are as many tasks as the session has shuffle partitions at least.
+READ_BYTES = 128 << 20
 #: Shorter payloads are never written as revisits.
 LEAST_SHARED = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -94,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "key": capture_key(F.col("url"), F.col("page_id"))})
     first = rows.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    rows = rows.join(staged(first, "repeated"), "digest", "left")  # a table, so that Spark can broadcast it or split a common payload's rows
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
 
@@ -204,11 +206,17 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     if not table:
         return keys.sparkSession.createDataFrame([], "key string, archive string, offset long, length long")
     asked = map_batches(keys.select("key").where("key is not null").distinct(), place, "shard int, key string")
-    return map_batches(asked.repartition("shard").sortWithinPartitions("shard", "key"), run, "key string, archive string, offset long, length long")
+    return map_batches(asked.repartition(len(table), "shard").sortWithinPartitions("shard", "key"), run, "key string, archive string, offset long, length long")
 
 
 def read_records(spots: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Read each capture as a byte range of its archive. With payloads, a response's bytes come along."""
+    """Read each capture (archive, offset, length; repeated ones as often) as a byte range of its archive. With payloads, a response's bytes come along.
+
+    Each task reads stretches of READ_BYTES of archives, in the order in which they lie there.
+    """
+    total = spots.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_BYTES))
+    stretch = F.expr(f"offset div {max(1, min(READ_BYTES, total // tasks))}")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         at, file = "", None
@@ -223,7 +231,7 @@ def read_records(spots: DataFrame, folder: str, payloads: bool = False) -> DataF
                     rows.append(parse_record(file.read_at(length, offset)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] if payloads or c != "payload" else None for r in rows], t) for c, t in zip(names, kinds)], names)
 
-    spread = spots.repartition("archive").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    spread = spots.repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return map_batches(spread, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
@@ -233,4 +241,4 @@ def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     captures = write_archives(pages, folder)
     shards = write_index(captures, folder)
     asked = pages.select(capture_key(F.col("url").cast("string"), F.col("page_id").cast("long")).alias("key"))
-    return read_records(look_up(asked, shards, folder), folder)
+    return read_records(staged(look_up(asked, shards, folder), "spots"), folder)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -172,15 +173,97 @@ def test_bpe(docs):
 
 
 def test_media(docs):
-    for r in media.decode_media(media.encode_media(docs)).collect():
-        assert r["payload_bytes"] == max(64, -(-r["n_bytes"] // 64) * 64) and len(r["payload"]) == r["payload_bytes"] and r["clips"][0]["start_s"] == 0
+    texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    read = media.decode_media(media.encode_media(docs).withColumn("payload", F.lit("replaced")))
+    rows = read.collect()
+    got = {(r["doc_id"], bytes(r["payload"]), r["media_sha256"]) for r in rows}
+    padded = lambda t: (raw := (t or "").encode()) + b"\0" * (-len(raw) % 64 if raw else 64)
+    assert {x[:2] for x in got} == {(i, padded(t)) for i, t in texts} and len(rows) == docs.count()
+    assert all(r["payload_bytes"] == len(r["payload"]) and r["clips"][0]["start_s"] == 0 and r["media_bytes"] > r["payload_bytes"] for r in rows)
+    clips = media.clip_rows(read).collect()
+    assert len(clips) == sum(len(r["clips"]) for r in rows) > len(rows)
     raw = bytes(range(256)) * 70
-    _, size, frames = media.read_avi(media.write_avi(raw))
-    assert np.concatenate([media.decode_frame(f) for f in frames])[:size].tobytes() == raw
-    assert media.shots([np.zeros(64, np.uint8)] * 4 + [np.full(64, 200, np.uint8)] * 4) == [(0, 3), (4, 7)]
+    assert media.decoded(media.write_avi(raw))[0] == raw
+    flat = lambda v: np.eye(32)[[v]]
+    assert media.shots(np.concatenate([flat(0)] * 4 + [flat(25)] * 4)) == [(0, 3), (4, 7)]
     assert media.decode_media(media.encode_media(docs.limit(0))).count() == 0
 
 
+class Jpeg:
+    """A plain baseline encoder of its own: colour frames with subsampling, restarts, and eight-bit codes for all symbols."""
+
+    quantiser = 4
+
+    def __init__(self, restart):
+        self.restart, self.bits = restart, ""
+        self.symbols = [0x00, 0xF0, *[r << 4 | s for r in range(16) for s in range(1, 12)]]
+        self.code = {s: format(k, "08b") for k, s in enumerate(self.symbols)}
+
+    def put(self, values, before):
+        """One block of samples."""
+        x = np.arange(8)
+        basis = np.array([(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)])
+        square = np.rint(basis @ (values.astype(float) - 128) @ basis.T / self.quantiser).astype(int)
+        order = [square[i // 8, i % 8] for i in media._ZIGZAG]
+        number = lambda v: "" if not v else format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b")
+        diff, run = int(order[0]) - before, 0
+        self.bits += self.code[abs(diff).bit_length()] + number(diff)
+        last = max((k for k in range(1, 64) if order[k]), default=0)
+        for v in map(int, order[1 : last + 1]):
+            if not v:
+                run += 1
+                continue
+            self.bits += self.code[0xF0] * (run // 16) + self.code[(run % 16) << 4 | abs(v).bit_length()] + number(v)
+            run = 0
+        self.bits += "" if last == 63 else self.code[0]
+        return int(order[0])
+
+    def frame(self, luma, colour):
+        """luma: samples in multiples of 16; colour: one value of both other components, at half the size."""
+        h, w = luma.shape
+        table = lambda kind, symbols: bytes([kind, *[0] * 7, len(symbols), *[0] * 8, *symbols])
+        out = b"\xff\xd8" + media._segment(0xDB, bytes([0, *[self.quantiser] * 64])) + media._segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        out += media._segment(0xC4, table(0, self.symbols) + table(0x10, self.symbols)) + media._segment(0xDD, struct.pack(">H", self.restart)) + media._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+        before, n = [0, 0, 0], 0
+        flush = lambda: bytes(int((self.bits + "1" * (-len(self.bits) % 8))[k : k + 8], 2) for k in range(0, len(self.bits), 8)).replace(b"\xff", b"\xff\0")
+        for y in range(0, h, 16):
+            for x in range(0, w, 16):
+                if self.restart and n and n % self.restart == 0:
+                    out, before, self.bits = out + flush() + bytes([0xFF, 0xD0 + (n // self.restart - 1) % 8]), [0, 0, 0], ""
+                for dy in (0, 8):
+                    for dx in (0, 8):
+                        before[0] = self.put(luma[y + dy : y + dy + 8, x + dx : x + dx + 8], before[0])
+                for c in (1, 2):
+                    before[c] = self.put(np.full((8, 8), colour), before[c])
+                n += 1
+        out, self.bits = out + flush() + b"\xff\xd9", ""
+        return out
+
+
+@pytest.mark.parametrize("restart,indexed", [(0, True), (2, False)])
+def test_foreign_media(spark, restart, indexed):
+    coder = Jpeg(restart)
+    y, x = np.mgrid[0:32, 0:48]
+    scenes = [(x * 4 + y) % 200 + 20, 255 - (y * 5) % 120, (x * y) % 90 + 40]
+    frames = [coder.frame(np.clip(s + k, 0, 255).astype(np.uint8), 90 + k) for s in scenes for k in range(5)]
+    for s, f in zip((scenes[0], scenes[1] + 0), (frames[0], frames[5])):
+        head, blocks = media.coefficients(f)
+        assert np.abs(media.pixels(head, blocks).astype(int) - s).max() <= 8
+    chunk, movi, index, at = media._chunk, [], b"", 4
+    for f in frames:
+        movi += [chunk(b"01wb", b"sound"), chunk(b"00dc", f)]
+        index += struct.pack("<4sIII", b"01wb", 0, at, 5) + struct.pack("<4sIII", b"00dc", 0x10, at + len(movi[-2]), len(f))
+        at += len(movi[-2]) + len(movi[-1])
+    avih = struct.pack("<14I", 100_000, 0, 0, 0x10, len(frames), 0, 2, 0, 48, 32, 0, 0, 0, 0)
+    body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", avih)) + chunk(b"LIST", b"movi" + b"".join(movi)) + (chunk(b"idx1", index) if indexed else b"")
+    rows = [(1, chunk(b"RIFF", body)), (2, None), (3, b"no media"), (4, chunk(b"RIFF", body)[: len(body) // 2])]
+    read = media.decode_media(spark.createDataFrame(rows, "doc_id long, media binary"))
+    got = {r["doc_id"]: r for r in read.collect()}
+    assert got[1]["payload"] is None and [(c["start_s"], c["end_s"]) for c in got[1]["clips"]] == [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)]
+    assert all(got[k]["payload"] is None for k in (2, 3, 4)) and not got[2]["clips"] and not got[3]["clips"]
+    assert media.clip_rows(read.where("doc_id = 1")).count() == 3
+
+
 def test_warc(spark):
     warc.BLOCK_LINES = 3
     rows = [(i, f"http://h{i % 4}.example.com/p?{i}", "page %d " % (i % 5) * 30, 1) for i in range(30)] + [(3, "http://h3.example.com/p?3", "page 3 " * 30, 1), (None, None, None, 0), (90, "no url\t", "short", 0)]

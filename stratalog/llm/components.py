@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its neighbours below point to the smallest of them; here v < u always
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = staged(small.where("a <> b").distinct(), "edges")
+        now = staged(small.where("a <> b").distinct(), "edges", 16)
         # done when each node has one edge to a root, and no root has an edge below
         ends = now.select(F.col("a").alias("u"), F.lit(1).alias("up")).union(now.select(F.col("b").alias("u"), F.lit(0).alias("up")))
         if ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups = 1 and root = 0)").isEmpty():

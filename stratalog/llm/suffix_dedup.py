@@ -166,7 +166,7 @@ def shared_phrases(rows: DataFrame) -> DataFrame:
     rows: digest and text. Each passage of PASSAGE words that two rows share holds such a phrase; texts without a shared phrase give no row.
     """
     found = staged(map_batches(rows.select("digest", "text"), _phrases, "digest long, phrase long"), "phrases")
-    twice = staged(found.groupBy("phrase").count().where("count > 1").select("phrase"), "twice")
+    twice = staged(found.groupBy("phrase").count().where("count > 1").select("phrase"), "twice", 4)
     return found.join(twice, "phrase", "left_semi").distinct().groupBy("digest").agg(F.count("*").alias("n_shared_phrases"))
 
 
@@ -426,12 +426,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    phrases = staged(shared_phrases(rows), "shared_phrases")
+    phrases = staged(shared_phrases(rows), "shared_phrases", 4)
     long = rows.where(F.octet_length("text") >= length).select("digest", "text")
     sample = staged(map_batches(long, _sample(length), "digest long, at int, lo int, hi int, core long, around long, times long"), "suffixes")
     suffixes = sample.where("times > 0")
     cores = suffixes.groupBy("core").agg(F.sum("times").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
-    cores = staged(cores.select("core", F.expr("a <> b").alias("mixed")), "cores")
+    cores = staged(cores.select("core", F.expr("a <> b").alias("mixed")), "cores", 4)
     shared = staged(suffixes.join(cores, "core"), "shared")
     # copies of one and the same surroundings repeat throughout; of mixed buckets each kind sends one suffix
     kinds = staged(shared.where("mixed").groupBy("core", "around").agg(F.sum("times").alias("n"), F.min(F.struct("digest", "at", "lo", "hi")).alias("lead")), "kinds")

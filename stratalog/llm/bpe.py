@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.textbytes import U64, byte_sums, chunks, map_batches, mix, span_hash, utf8
 
-#: Resolved pre-tokens kept by a worker; the table is emptied when full.
-KEPT = 300_000
+#: Resolved pre-tokens kept by a worker, and the most characters of one; the table is emptied when full, longer ones are resolved again.
+KEPT, KEPT_CHARS = 300_000, 64
 
 
 def hashes(keys: list[bytes]) -> np.ndarray:
@@ -165,10 +165,16 @@ class Codec:
             new = set().union(*pieces)
         words = list(new)
         raw = [p.encode() for p in words]
+        long = []
         for piece, key, rank in zip(words, raw, self.perfect.ranks(raw)):
             self.kept[piece] = rank.to_bytes(4, "little") if rank >= 0 else array("I", merge_bytes(key, self.single, self.first, self.pairs)).tobytes()
+            if len(piece) > KEPT_CHARS:
+                long.append(piece)
         known = self.kept.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+        out = [b"".join(map(known, p)) for p in pieces]
+        for piece in long:
+            del self.kept[piece]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))

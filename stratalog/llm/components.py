@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: bigint); root is the component's smallest node.
 
     Each round is an aggregate and a join on the node, so a hub's rows can be split between tasks;
-    the number of rounds grows with the logarithm of the longest path. Nulls and loops are ignored;
-    no edges give no rows.
+    the number of rounds grows with the logarithm of the longest path. Nulls and loops are ignored, repeated edges and both directions of one count
+    once; no edges give no rows.
     """
     now = edges.select("a", "b").where("a <> b").distinct()
     for _ in range(max_rounds):

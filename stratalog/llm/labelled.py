@@ -14,18 +14,20 @@ FIT_CHARS = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Column, per_class: int = PER_CLASS) -> tuple[pd.DataFrame, float]:
-    """At most per_class rows of each class (doc_id, text, lang, y), and the share of class 1 among all usable labels.
+    """At most per_class rows of each class (doc_id, text, lang, y) among those short enough, and the share of class 1 among all usable labels.
 
-    Labels that are null or not 0/1 are left out. The sample is the same whatever the partitioning.
+    Labels that are null or not 0/1 are left out; of several texts with one id the least is taken; without labels or documents the sample is empty. The sample is
+    the same whatever the partitioning.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(usable)
     total = known.agg(F.count("*"), F.sum("y")).first()
-    chosen = None
+    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.length("text") <= FIT_CHARS)
+    there, chosen = known.join(text.select("doc_id"), "doc_id", "left_semi").distinct(), None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.length("text") <= FIT_CHARS)
-    rows = text.join(F.broadcast(chosen), "doc_id").toPandas()  # the broadcast has 2 * per_class rows at most
+    found = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("t"))  # the broadcast has 2 * per_class rows at most, and so has the result
+    rows = found.select("doc_id", "t.text", "t.lang", "y").toPandas()
     return rows.sort_values(["doc_id", "text", "y"], kind="stable").reset_index(drop=True), (total[1] or 0) / max(1, total[0])
 
 

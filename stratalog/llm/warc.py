@@ -91,7 +91,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     pages: page_id (integer), url, html and other columns (ignored). Of rows whose payloads (html as UTF-8; null: empty) are equal
     and of LEAST_SHARED bytes or more, those of the smallest page_id are responses and the others revisits of it; all
-    others are responses. A null page_id counts as larger than any; if no equal row has an id, all are responses.
+    others are responses. A null page_id counts as larger than any; if no equal row has an id, all are responses; rows that repeat the smallest id are
+    responses all. A null url is empty; line breaks and tabs in it are escaped.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "key": capture_key(F.col("url"), F.col("page_id"))})
@@ -119,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Write the sorted shards and return one row per shard: shard, first (its first key)."""
+    """Write the sorted shards and return one row per shard: shard, first (its first key). Captures with equal keys are all entered; no captures give no shards."""
     spread = captures.repartitionByRange("key").sortWithinPartitions("key", "archive", "offset")
 
     def run(batches) -> Iterator[pa.RecordBatch]:

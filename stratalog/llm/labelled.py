@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.textbytes import map_batches
+
 #: Rows of each class that a model is fitted on, at most; they are those of the smallest hashed doc_id.
 PER_CLASS = 3000
 #: Longest text, in characters, that is used for fitting. (Scoring takes whole texts of any length.)
 FIT_CHARS = 20_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Column, per_class: int = PER_CLASS) -> tuple[pd.DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Column, per_class: int = PER_CLASS) -> tuple[DataFrame, float]:
     """At most per_class rows of each class (doc_id, text, lang, y) among those short enough, and the share of class 1 among all usable labels.
 
     Labels that are null or not 0/1 are left out; of several texts with one id the least is taken; without labels or documents the sample is empty. The sample is
@@ -27,8 +34,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
         part = there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     found = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("t"))  # the broadcast has 2 * per_class rows at most, and so has the result
-    rows = found.select("doc_id", "t.text", "t.lang", "y").toPandas()
-    return rows.sort_values(["doc_id", "text", "y"], kind="stable").reset_index(drop=True), (total[1] or 0) / max(1, total[0])
+    return found.select("doc_id", "t.text", "t.lang", "y"), (total[1] or 0) / max(1, total[0])
+
+
+def fitted(sample: DataFrame, share: float, fit: Callable):
+    """The model that fit(rows, share) makes of the sample, in one task: its rows, features and gradients stay out of the driver, which gets the model."""
+    names = ["doc_id", "text", "lang", "y"]
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["doc_id", "y"], kind="stable").reset_index(drop=True)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({c: [] for c in names})
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit(ordered(rows), share)), 1)])], ["model"])
+
+    made = map_batches(sample.select(*names).coalesce(1), run, "model binary").collect()
+    return pickle.loads(zlib.decompress(made[0]["model"])) if made else fit(pd.DataFrame({c: [] for c in names}), share)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

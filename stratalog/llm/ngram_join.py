@@ -229,15 +229,15 @@ def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width:
         return spark.createDataFrame([], "kid long, root long")
     least = max(16, -(-size // FREQUENT_MAX))
     counts = scan.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > least)
-    found = np.sort(counts.select("token").toArrow().column("token").to_numpy().view(np.uint64))  # FREQUENT_MAX at most
+    with scratch(spark) as temp:
+        found = np.sort(temp(counts.select("token"), "frequent", 16).toArrow().column("token").to_numpy().view(np.uint64))  # FREQUENT_MAX at most
     keys = map_batches(rows.select("text"), _index_keys(common, spark.sparkContext.broadcast(found), width, percent), "kid long, n long, sketch array<tinyint>, keys array<long>")
     sets = staged(keys.groupBy("kid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "index")
-    index = sets.select("kid", "n", F.explode("keys").alias("key"))
-    heads = index.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("kid", "n")).alias("head")).where("m > 1")
-    lists = staged(index.join(heads, "key").select("key", "kid", "n", "m", F.col("head.kid").alias("head"), F.col("head.n").alias("head_n")), "lists")
-    alike = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    pairs = lists.where("kid <> head").where(alike("n", "head_n")).select(F.col("head").alias("a"), F.col("kid").alias("b")).distinct()
-    tried = staged(pairs, "pairs", 4)
+    index = sets.select("kid", F.explode("keys").alias("key"))
+    heads = index.groupBy("key").agg(F.min("kid").alias("head"), F.max("kid").alias("last")).where("head <> last").select("key", "head")
+    lists = staged(index.join(heads, "key").select(F.col("head").alias("key"), "kid").distinct(), "lists")  # lists of one leader are gone through together
+    alike = f"100 * least(n, an) >= {percent} * greatest(n, an)"
+    tried = lists.where("kid <> key").select(F.col("key").alias("a"), F.col("kid").alias("b"))
     apart = "aggregate(zip_with(sketch, asketch, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
     near = f"coalesce({100 + percent} * {apart} <= {100 - percent} * (n + an), true)"  # else too many tokens differ
 
@@ -245,16 +245,15 @@ def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width:
         """The pairs that are linked: sketches rule out most of the others, whole sets decide."""
         a = sets.select(F.col("kid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
         with scratch(spark) as temp:
-            left = temp(pairs.join(sets.select(F.col("kid").alias("b"), "n", "sketch"), "b").join(a, "a").where(near).select("a", "b"), "near", 4)
+            left = temp(pairs.join(sets.select(F.col("kid").alias("b"), "n", "sketch"), "b").join(a, "a").where(alike).where(near).select("a", "b"), "near", 4)
             wanted = temp(left.select(F.col("a").alias("kid")).union(left.select("b")).distinct().join(classes, "kid").select(F.col("tkey").alias("digest")).distinct(), "wanted", 16)
             texts = map_batches(rows.select(F.xxhash64("text").alias("digest"), "text"), _marked(_bitmap(wanted)), "digest long, text string").join(wanted, "digest").dropDuplicates(["digest"])
             tokens = temp(map_batches(texts.select("text"), _whole_sets(common, width), "kid long, tokens array<long>").dropDuplicates(["kid"]), "tokens")
             return staged(_verified(left, tokens, percent), "links", 4)
 
     edges = links(tried)
-    # lists that lie in several components still may hold links that the leaders did not show; lists of one leader are gone through together
-    members = lists.groupBy(F.col("head").alias("key"), "kid").agg(F.first("n").alias("n"))
-    groups = staged(members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key"), "groups", 4)
+    # lists that lie in several components still may hold links that the leaders did not show
+    groups = staged(lists.join(lists.groupBy("key").agg(F.count("*").alias("m")), "key"), "groups", 4)
     # a member's place in a list is a hash scaled by the list's length, so no list needs sorting; the leaders grow eightfold a round
     place = "(xxhash64(kid) / 18446744073709551616D + 0.5D) * m"
     first, last, roots = 0, 32, None
@@ -263,13 +262,13 @@ def _roots(rows: DataFrame, scan: DataFrame, classes: DataFrame, common, width:
         with scratch(spark) as temp:
             placed = groups.where(F.col("m") > first).join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
             split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            drawn = sets.select("kid", F.col("sketch").alias("drawn"))
+            drawn = sets.select("kid", "n", F.col("sketch").alias("drawn"))
             open_lists = temp(placed.join(split, "key").join(drawn, "kid").selectExpr("key", "kid", "n", "m", "root", f"if(m > {SKETCHED}, drawn, null) as sketch", f"{place} as place", f"cast(pmod(kid, ceil(m / {SPLIT})) as int) as part"), "open", 4)
             if open_lists.isEmpty():
                 return roots
             leaders = open_lists.where((F.col("place") >= first) & (F.col("place") < last)).selectExpr("key", "kid as a", "n as an", "root as ar", "place as aplace", "sketch as asketch", f"explode(sequence(0, cast(ceil(m / {SPLIT}) as int) - 1)) as part")
             spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much comparing: not to be coalesced
-            more = leaders.join(open_lists.repartition(spread, "key", "part"), ["key", "part"]).where("root <> ar and (place > aplace or place = aplace and kid > a)").where(alike("n", "an")).where(near)
+            more = leaders.join(open_lists.repartition(spread, "key", "part"), ["key", "part"]).where("root <> ar and (place > aplace or place = aplace and kid > a)").where(alike).where(near)
             new = staged(more.select(F.col("a"), F.col("kid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", 4)
         if not new.isEmpty():
             found = links(new)

@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, and a logistic regression over hashed word and character n-grams.
 
-The regression sees the relative frequency of each hashed word and of each hashed run of GRAM bytes. It is fitted on the
-driver from a bounded sample (labelled.PER_CLASS rows a class), calibrated to probabilities at the labels' own class
+The regression sees the relative frequency of each hashed word and of each hashed run of GRAM bytes. It is fitted in
+one task from a bounded sample (labelled.PER_CLASS rows a class), calibrated to probabilities at the labels' own class
 share, and broadcast (2 * DIMS weights). Scoring is one pass in Arrow batches without a shuffle.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.labelled import PER_CLASS, labelled_sample, platt, sigmoid
+from stratalog.llm.labelled import PER_CLASS, fitted, labelled_sample, platt, sigmoid
 from stratalog.llm.textbytes import SPACE, U64, byte_sums, chunks, map_batches, mix, span_hash, spaced, utf8, words
 
 DIMS = 1 << 17
@@ -114,7 +114,7 @@ def fit(sample: pd.DataFrame, share: float, seed: int = 11) -> Regression:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Regression:
     """Fit on labels.quality (1: good)."""
-    return fit(*labelled_sample(docs, labels, "quality", F.lit(True), per_class))
+    return fitted(*labelled_sample(docs, labels, "quality", F.lit(True), per_class), fit)
 
 
 def base_rules(text: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:

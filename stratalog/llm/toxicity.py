@@ -4,7 +4,7 @@ A word's embedding is the sum of two hashed ones, of the whole word and of its f
 largest response in the whole text, and a logistic unit weighs these. Scores are calibrated to probabilities
 at the labels' own class share; the threshold for rejecting is calibrated by language.
 
-The model is fitted on the driver from a bounded sample (labelled.PER_CLASS rows a class) and broadcast
+The model is fitted in one task from a bounded sample (labelled.PER_CLASS rows a class) and broadcast
 (BUCKETS entries plus the embeddings of the sample's words). Scoring is one pass over the rows without a shuffle.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.labelled import PER_CLASS, labelled_sample, platt, sigmoid
+from stratalog.llm.labelled import PER_CLASS, fitted, labelled_sample, platt, sigmoid
 from stratalog.llm.textbytes import LOWER, U64, byte_sums, chunks, map_batches, mix, span_hash, spaced, utf8
 
 BUCKETS = 1 << 21
@@ -206,7 +206,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> TextCnn:
     """Fit on rows that are not held out; labels.toxic is the target."""
-    return fit(*labelled_sample(docs, labels, "toxic", ~held_out(), per_class))
+    return fitted(*labelled_sample(docs, labels, "toxic", ~held_out(), per_class), fit)
 
 
 def score_documents(docs: DataFrame, model: TextCnn) -> DataFrame:

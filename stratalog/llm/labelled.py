@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,18 +40,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
 
 def fitted(sample: DataFrame, share: float, fit: Callable):
     """The model that fit(rows, share) makes of the sample, in one task: its rows, features and gradients stay out of the driver, which gets the model."""
-    names = ["doc_id", "text", "lang", "y"]
-
-    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["doc_id", "y"], kind="stable").reset_index(drop=True)
+    sample = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", F.col("y").cast("int").alias("y"))
+    schema = pa.schema([("doc_id", pa.string()), ("text", pa.string()), ("lang", pa.string()), ("y", pa.int32())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        rows = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({c: [] for c in names})
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit(ordered(rows), share)), 1)])], ["model"])
+        rows = pa.Table.from_batches([b.cast(schema) for b in batches], schema).sort_by([("doc_id", "ascending"), ("y", "ascending")])
+        made = zlib.compress(pickle.dumps(fit(rows, share)), 1)
+        del rows
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([made])], ["model"])
+
+    made = map_batches(sample.coalesce(1), run, "model binary").collect()
+    return pickle.loads(zlib.decompress(made[0]["model"])) if made else fit(schema.empty_table(), share)
+
 
-    made = map_batches(sample.select(*names).coalesce(1), run, "model binary").collect()
-    return pickle.loads(zlib.decompress(made[0]["model"])) if made else fit(pd.DataFrame({c: [] for c in names}), share)
+def give_back() -> None:
+    """Return freed memory to the system, as far as the C library can: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

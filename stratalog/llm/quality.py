@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,14 +71,14 @@ class Regression:
         return sigmoid(self.slope * self.margins(found) + self.shift)
 
 
-def fit(sample: pd.DataFrame, share: float, seed: int = 11) -> Regression:
+def fit(sample: pa.Table, share: float, seed: int = 11) -> Regression:
     """Full-batch Adam on four fifths of the sample, calibration on the rest."""
     model = Regression(np.zeros(2 * DIMS))
-    y = sample["y"].to_numpy(dtype=np.float64)
+    y = sample["y"].to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         model.shift = float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
         return model
-    data, offs = utf8(pa.array(sample["text"], pa.string()))
+    data, offs = utf8(sample["text"])
     ids, docs, values = [], [], []
     for i, j in chunks(offs):
         for found, first in features(*spaced(data, offs, i, j)):

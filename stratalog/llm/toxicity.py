@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,11 +99,11 @@ class TextCnn:
         return sigmoid(self.slope * self.margins(data, offs, tables) + self.shift)
 
 
-def fit(sample: pd.DataFrame, share: float, seed: int = 7) -> TextCnn:
+def fit(sample: pa.Table, share: float, seed: int = 7) -> TextCnn:
     """Train on four fifths of the sample, calibrate on the rest. Without both classes, the score is the share."""
     rng = np.random.default_rng(seed)
-    y = sample["y"].to_numpy(dtype=np.float64)
-    data, offs = utf8(pa.array(sample["text"], pa.string()))
+    y = sample["y"].to_numpy().astype(np.float64)
+    data, offs = utf8(sample["text"])
     parts = list(buckets(data, offs))
     texts = [ids[a:b] for ids, first in parts for a, b in zip(first[:-1], first[1:])]
     del parts
@@ -136,7 +135,7 @@ def fit(sample: pd.DataFrame, share: float, seed: int = 7) -> TextCnn:
     every = model.margins(data, offs)
     model.slope, model.shift = platt(every[held], y[held], share)
     score = sigmoid(model.slope * every[held] + model.shift)
-    language = sample["lang"].to_numpy()[held]
+    language = sample["lang"].to_numpy(zero_copy_only=False)[held]
     weight = np.where(y[held] == 1, share / max(y[held].mean(), 1e-6), (1 - share) / max(1 - y[held].mean(), 1e-6))
     model.threshold = _best(score, y[held], weight)
     for name in {x for x in language if x is not None}:
